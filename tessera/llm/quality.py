@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._stage import fresh, staged
+from ._stage import fresh
 
-SAMPLE = 20_000
+SAMPLE = 10_000
 KEEP = 0.25
 BUCKETS = 1 << 13
 LABELLERS = ["symbols", "repeats", "echoes", "stretch", "capitals", "bars", "shouts", "stops", "letters"]
@@ -119,11 +119,12 @@ class Items:
         pair = shape * 8191 + before + (1 << 40)
         return (X.mix(np.stack([shape, pair]).astype(np.uint64)) >> np.uint64(64 - 13)).astype(np.int64)
 
-    def matrix(self) -> np.ndarray:
-        """Shares of the buckets, a row for each text."""
+    def sparse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets that each text has, their shrunk shares, and the n + 1 offsets of the texts."""
         b, d = self.buckets(), np.repeat(np.arange(len(self.n)), self.n)
-        m = sum(np.bincount(d * BUCKETS + row, minlength=len(self.n) * BUCKETS) for row in b)
-        return (m.reshape(len(self.n), BUCKETS) / (self.n + SHRINK)[:, None]).astype(np.float32)
+        codes, counts = np.unique(np.concatenate([d * BUCKETS + row for row in b]), return_counts=True)
+        row = codes // BUCKETS
+        return (codes % BUCKETS).astype(np.int32), (counts / (self.n[row] + SHRINK)).astype(np.float32), np.searchsorted(row, np.arange(len(self.n) + 1))
 
     def score(self, weights: np.ndarray, bias: float) -> np.ndarray:
         b = self.buckets()
@@ -154,20 +155,21 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.
     return post, prior, theta
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, bias: float, rounds: int = 300) -> np.ndarray:
-    """Logistic weights by Adam on the weighted log likelihood, lightly L2-regularised; the bias is given."""
-    w = np.zeros(x.shape[1])
-    used = np.flatnonzero(x.any(0))
-    a, v = x[:, used], np.zeros(len(used))
-    m1, m2 = np.zeros(len(used)), np.zeros(len(used))
+def fit(at: np.ndarray, share: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, bias: float, rounds: int = 300) -> np.ndarray:
+    """Logistic weights by Adam on the weighted log likelihood, lightly L2-regularised; the bias is given.
+
+    The texts' features are sparse: buckets at and their shares, each text's from first[i] to first[i + 1].
+    """
+    row = np.repeat(np.arange(len(y)), np.diff(first))
+    seen = np.bincount(at, minlength=BUCKETS) > 0
+    v, m1, m2 = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(a @ v.astype(np.float32) + bias, -50, 50)))
-        e = ((y - p) * weight / weight.sum()).astype(np.float32)
-        g = a.T @ e - 1e-5 * v
+        p = 1 / (1 + np.exp(-np.clip(X.segment_sums(v[at] * share, first) + bias, -50, 50)))
+        e = (y - p) * weight / weight.sum()
+        g = np.bincount(at, share * e[row], BUCKETS) - 1e-5 * v
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        v += 0.3 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-9)
-    w[used] = v
-    return w
+        v += seen * 0.3 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-9)
+    return v
 
 
 def vote_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -206,19 +208,25 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np
     if share < 1:
         some = some.where(key < F.lit(int(-(2**63) + share * 2**64)))
     # equal texts have equal keys: a group of copies comes in whole or not, and counts once
-    rare = staged(some.select(key.alias("k"), F.col(text).alias("text")).dropDuplicates(["k"]).orderBy("k").limit(sample).select("text"), "sample")
-    xs, ys = [], []
-    powers = 3 ** np.arange(len(LABELLERS))
-    for r in np.array_split(np.array([x[0] for x in rare.collect()], object), max(1, sample // 1000)):
-        if len(r):
-            items = Items(pa.array(r.tolist(), pa.string()))
-            on = items.n > 0
-            xs.append(items.matrix()[on])
-            ys.append(table[(items.votes() * powers).sum(1)[on]])
-    x, y = np.concatenate(xs), np.concatenate(ys)
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 3 ** np.arange(len(LABELLERS))
+        for batch in batches:
+            for b in X.chunks(batch, "text"):
+                items = Items(b.column("text"))
+                at, value, first = items.sparse()
+                first = pa.array(first.astype(np.int32))
+                code = pa.array((items.votes() * powers).sum(1))
+                out = pa.RecordBatch.from_arrays([b.column("k"), code, pa.ListArray.from_arrays(first, pa.array(at)), pa.ListArray.from_arrays(first, pa.array(value))], names=["k", "code", "at", "value"])
+                yield out.filter(pa.array(items.n > 0))
+
+    rows = some.select(key.alias("k"), F.col(text).alias("text")).mapInArrow(features, "k long, code long, at array<int>, value array<float>")
+    got = rows.groupBy("k").agg(F.min(F.struct("code", "at", "value")).alias("r")).orderBy("k").limit(sample).select("r.*").toArrow()
+    y = table[got.column("code").to_numpy()]
+    at, value = (np.concatenate([c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in got.column(n).chunks]) for n in ("at", "value"))
+    first = np.concatenate([[0], np.cumsum([len(x) for x in got.column("at")])])
     bad = max(1e-9, float((1 - y).sum()))
     lift = min(10.0, max(1.0, float(y.sum()) / bad))  # the rarer class weighs as much as the other
-    return fit(x, y, y + (1 - y) * lift, bias), bias
+    return fit(at, value, first, y, y + (1 - y) * lift, bias), bias
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float] | None = None, keep: float = KEEP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
