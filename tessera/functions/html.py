@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import let, words
 from .urls import normalize, resolve, scheme
@@ -79,7 +80,7 @@ def parse(html: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exact_text(html: pd.Series) -> pd.Series:
     """text() by a parser, in Arrow batches, for pages on which patterns are not enough."""
     return html.map(parse)

@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import html as H
 from ..functions import vocab as V
@@ -69,7 +70,7 @@ def jsonl_text(raw: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def indented_json(raw: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:
         try:
@@ -80,7 +81,7 @@ def indented_json(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def indented_jsonl(raw: pd.Series) -> pd.Series:
     def line(x: str) -> str:
         try:
@@ -91,7 +92,7 @@ def indented_jsonl(raw: pd.Series) -> pd.Series:
     return raw.map(lambda t: None if t is None else "\n".join(line(x) for x in t.splitlines() if x.strip()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def quoted_csv(raw: pd.Series) -> pd.Series:
     """csv_text for input with quoted cells and line ends in them; on a broken file each raw line, commas replaced."""
     import csv
