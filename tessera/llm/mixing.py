@@ -128,4 +128,4 @@ def mix(docs: DataFrame, parts: dict[str | None, int] | None = None, budget: int
 def _head(text: Column, n: Column) -> Column:
     """text up to its n-th token, whole if n is null."""
     marked = F.regexp_replace(text, r"([^ \t\n\r\f\x0B])(?=[ \t\n\r\f\x0B])", "$1" + _MARK)
-    return F.when(n.isNull(), text).otherwise(F.regexp_replace(F.substring_index(marked, _MARK, n.cast("int")), _MARK, ""))
+    return F.when(n.isNull(), text).otherwise(F.replace(F.call_function("substring_index", marked, F.lit(_MARK), n.cast("int")), F.lit(_MARK), F.lit("")))
