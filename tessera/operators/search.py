@@ -25,20 +25,27 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return terms.withColumn("weight", F.when(light, LIGHT).otherwise(1.0)).withColumn("meaningful", F.when(light, 0).otherwise(1)).withColumn("total", F.sum("meaningful").over(w))
 
 
-def small(questions: DataFrame, side: DataFrame) -> DataFrame:
-    return F.broadcast(side) if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS else side
+def few(questions: DataFrame) -> int:
+    """How many questions there are, up to one more than may be broadcast."""
+    return questions.limit(BROADCAST_QUESTIONS + 1).count()
 
 
-def scores(sources: DataFrame, questions: DataFrame) -> DataFrame:
+def small(side: DataFrame, rows: int) -> DataFrame:
+    """side with a broadcast hint if it has at most so many rows; beyond it joins shuffle."""
+    return F.broadcast(side) if rows <= BROADCAST_QUESTIONS else side
+
+
+def scores(sources: DataFrame, questions: DataFrame, n_questions: int | None = None) -> DataFrame:
     """(query_id, id, base, matched, total, score) of each match, without intent.
 
     Only tokens that some question asks for pass the explode; text goes no further.
     """
+    n_questions = few(questions) if n_questions is None else n_questions
     terms = query_terms(questions)
-    held = postings(sources, small(questions, terms.select("term").distinct()))
+    held = postings(sources, small(terms.select("term").distinct(), n_questions))
     df = document_frequency(held)
     n = sources.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    weighed = small(questions, terms.join(df, "term").crossJoin(n).withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0).select("query_id", "term", "weight", "meaningful", "total", "idf"))
+    weighed = small(terms.join(df, "term").crossJoin(n).withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0).select("query_id", "term", "weight", "meaningful", "total", "idf"), n_questions)
     part = F.col("weight") * (1.0 + F.log("tf")) * F.col("idf")
     found = held.join(weighed, "term").groupBy("query_id", "id", "total").agg(F.sum(part).alias("base"), F.sum("meaningful").alias("matched"))
     cover = F.when(F.col("total") > 0, FLOOR + (1 - FLOOR) * F.col("matched") / F.col("total")).otherwise(1.0)
@@ -57,12 +64,14 @@ def search(sources: DataFrame, questions: DataFrame, limit: int = LIMIT, source_
     """
     if source_type is not None:
         sources = sources.where(F.col("source_type") == source_type)
-    pool = ranked(scores(sources, questions), 5 * max(0, limit) + 10).drop("rank")
+    n, size = few(questions), 5 * max(0, limit) + 10
+    pool = ranked(scores(sources, questions, n), size).drop("rank")
     kinds = questions.select("query_id", "query", I.detect(F.col("query")).alias("intent"))
-    near = pool.join(small(questions, kinds), "query_id").join(sources, "id")
+    # a small pool goes to the texts, not the texts to the pool
+    near = sources.join(small(pool.join(small(kinds, n), "query_id"), n * size), "id")
     name = F.coalesce(F.nullif("title", F.lit("")), "location")
     hay = F.concat_ws(" ", F.nullif(name, F.lit("")), F.nullif("location", F.lit("")), F.nullif(F.substring("text", 1, INTENT_CHARS), F.lit("")))
-    topic = F.filter(X.tokens(F.col("query")), lambda t: ~t.isin(V.RANK_STOPWORDS))
+    topic = F.array_except(X.tokens(F.col("query")), X.strings(V.RANK_STOPWORDS))
     verdict = I.score(F.col("hay"), F.col("intent"), F.col("query"), topic)
     general = F.col("intent") == V.GENERAL
     judged = near.withColumn("hay", hay).withColumn("verdict", verdict).select("*", "verdict.*").drop("verdict")
