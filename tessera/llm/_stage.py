@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Rows of a slim (one or two longs) table that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 4_000_000
 
+BATCH_BYTES = 8 << 20
+
 _made: set[str] = set()
 
 
@@ -55,6 +57,14 @@ def unstage(df: DataFrame) -> None:
         _drop(df.sparkSession, os.path.dirname(name))
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, for the session: they are held several times over, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = str(spark.conf.get(name)).rstrip("b")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def counted(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """side with a broadcast hint if it has few enough rows; otherwise as it is, and the join shuffles both sides."""
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side

@@ -6,6 +6,7 @@ A word is a maximal run of ASCII letters, digits and non-ASCII bytes of the lowe
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 
 SQL_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: Bytes of text that are handled at once, so that the tables below stay in a few tens of MB.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _WORD = np.zeros(256, np.uint8)
 for _a, _b in ((48, 58), (97, 123), (65, 91), (128, 256)):
@@ -24,6 +25,11 @@ _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _tables: dict[int, np.ndarray] = {}
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -132,6 +138,16 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[p
         to = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers are reused, and what one stage keeps the next one lacks."""
+    if len(_tables) and max(map(len, _tables.values())) > 2 * CHUNK:
+        _tables.clear()  # grown by a very long text
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:

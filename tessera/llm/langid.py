@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._stage import staged
+from ._stage import lean, staged
 
 BUCKETS = 1 << 14
 TEMPER = 3.0
@@ -108,6 +108,7 @@ RESULT = "page_id long, host string, declared string, lang string, posterior dou
 
 def identify(pages: DataFrame, docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, host, declared, lang, posterior, text_lang) of each page; text_lang is the language by text alone."""
+    lean(pages.sparkSession)
     spark = pages.sparkSession
     names, table = model or train(docs)
     if not names:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import _text as X
 from ._cluster import clusters
-from ._stage import counted, fresh, staged
+from ._stage import counted, fresh, lean, staged
 
 GRAM = 5
 BANDS, ROWS = 40, 4
@@ -168,6 +168,7 @@ def attach(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, group_id, kept) for each document of a group of two or more; group_id is the least id, which is kept."""
+    lean(docs.sparkSession)
     slim = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = staged(slim.mapInArrow(_sign, SIGNED), "signed")
     # rows of one id count as one: their least sequence stands for it

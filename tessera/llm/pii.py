@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import lean
+
 TAGS = ["O", "EMAIL", "B-PHONE", "I-PHONE", "B-CARD", "I-CARD", "IP", "SECRET"]
 _LINE = re.compile(r"[^\n]+")
 _SOME = re.compile(r"[0-9@]")
@@ -310,6 +312,7 @@ def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None, do
                 i, s, e, k = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(k, pa.string())], names=["doc_id", "start", "end", "kind"])
 
+    lean(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if not decode_all(model):
         slim = slim.where(F.col("text").rlike("[0-9@]"))  # the others don't leave the JVM

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._stage import fresh
+from ._stage import fresh, lean
 
 SAMPLE = 10_000
 KEEP = 0.25
@@ -185,6 +185,7 @@ def vote_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pattern", "n"])
 
+    lean(docs.sparkSession)
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
@@ -231,6 +232,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float] | None = None, keep: float = KEEP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, kept) of each document."""
+    lean(docs.sparkSession)
     weights, bias = model or train(docs, text) or (np.zeros(BUCKETS), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS numbers
 
@@ -247,6 +249,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float] | None = None, ke
     """The rows of docs that the scorer keeps; nothing is shuffled."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    lean(docs.sparkSession)
     weights, bias = model or train(docs, text) or (np.zeros(BUCKETS), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     at, schema = docs.columns.index(text), to_arrow_schema(docs.schema)

@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
+from ._stage import lean
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 128
 PERCENTILE = 0.9
 #: Bytes of text encoded at once.
-GATHER = 16_000_000
+GATHER = 8_000_000
 _ODD = r"[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}] | [\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]|^[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]|[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]$"
 
 _encoders: dict[str, tuple] = {}
@@ -203,4 +204,5 @@ def token_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLO
                 )
                 row += n
 
+    lean(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PACKED)
