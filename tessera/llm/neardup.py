@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
-from ._cluster import clusters, components
+from ._cluster import clusters, copies, has_repeats, merged
 from ._stage import counted, fresh, lean, staged
 
 GRAM = 5
@@ -172,9 +172,9 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, do
     slim = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = staged(slim.mapInArrow(_sign, SIGNED), "signed")
     # rows of one id are one document of several sequences; only rows of a sequence that a lesser id has leave the search
-    repeats = _has_repeats(signed)
+    repeats = has_repeats(signed)
+    same = staged(copies(signed, ["k1", "k2"]), "same")
     key = ["id", "k1", "k2"] if repeats else ["id"]
-    same = staged(signed.select("id", "k1", "k2", F.min("id").over(W.partitionBy("k1", "k2")).alias("rep")).where("id <> rep").distinct(), "same")
     alone = signed.join(counted(same.select(*key)), key, "left_anti")
     members = alone.select(F.explode("bands").alias("bucket"), "id")
     if repeats:
@@ -182,26 +182,13 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, do
 
     def verify(pairs: DataFrame) -> DataFrame:
         near = attach(pairs, alone.select("id", "checks"), "checks").mapInArrow(_filter_pairs(lambda x, y: bayes_keep(x, y, threshold, miss)), "a long, b long")
-        near = staged(near, "near")
+        near = staged(near.distinct(), "near")
         ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = slim.join(counted(ids), "id", "left_semi").mapInArrow(_gram_sets, "id long, grams binary")
         return attach(near, sets, "grams").mapInArrow(_filter_pairs(lambda x, y: jaccard_keep(x, y, threshold)), "a long, b long").distinct()
 
-    roots = staged(clusters(members, verify), "roots")
-    if repeats:  # an id may be linked by each of its sequences
-        edges = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-        return _grouped(components(edges))
-    linked = roots.select("id", "root").unionByName(same.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root")))
-    heads = same.select(F.col("rep").alias("id")).distinct().join(roots, "id", "left_anti").select("id", F.col("id").alias("root"))
-    return _grouped(linked.unionByName(heads))
-
-
-def _grouped(roots: DataFrame) -> DataFrame:
-    return roots.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("kept"))
-
-
-def _has_repeats(signed: DataFrame) -> bool:
-    return not signed.groupBy("id").count().where("count > 1").isEmpty()
+    roots = clusters(members, verify, alone.select("id", F.col("checks").alias("sketch")))
+    return merged(same, roots, repeats).select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
