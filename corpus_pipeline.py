@@ -1,4 +1,11 @@
-"""A training corpus from raw documents, in stages that each call one operator."""
+"""A training corpus from raw documents, in stages that each call one operator.
+
+Defined cases: documents of null or empty text, or without an item, are rejected by the first stage, so they are in no
+result; null ids, languages and sources stay. Repeated rows and rows of one id are one document to near_dedup, which
+keeps one of them. Ties go to the least id. Texts of any length are read whole. Empty tables give an empty result. Other
+columns than those of documents pass through all stages but the last; n_chars follows the text where it is cut, and is
+asked for.
+"""
 
 from __future__ import annotations
 

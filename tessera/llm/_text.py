@@ -1,7 +1,10 @@
 """Vectorised words and n-grams of Arrow string batches.
 
-A word is a maximal run of ASCII letters, digits and non-ASCII bytes of the lower-cased text, in SQL
-``regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+')``. Hashes are of 64 bits.
+A word is a maximal run of letters and digits of any script, in the normal form of each character: compatibility form
+(full-width letters are plain ones), lower case, without accents. Whatever else there is, no-break spaces, curly quotes
+and dashes among it, separates words. In scripts that are written without spaces (UNSPACED) each character is a word.
+Characters whose form is several letters, such as ligatures, stay as they are. In SQL the words are SQL_WORDS.
+Hashes are of 64 bits.
 """
 
 from __future__ import annotations
@@ -9,18 +12,19 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SQL_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+SQL_WORDS = rf"regexp_extract_all(regexp_replace(strip_accents(lower(translate(text, '{_WIDE}', '{"".join(chr(ord(c) - 0xFEE0) for c in _WIDE).replace("'", "''")}'))), '({UNSPACED})', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
 #: Bytes of text that are handled at once, so that the tables below stay in a few tens of MB.
 CHUNK = 1_000_000
 
-_WORD = np.zeros(256, np.uint8)
-for _a, _b in ((48, 58), (97, 123), (65, 91), (128, 256)):
-    _WORD[_a:_b] = 1
+_POINTS = 0x30000  # beyond are no letters
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -61,7 +65,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def bounds(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bounds(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes in table, never across texts, and the n + 1 first runs of the texts."""
     w = np.zeros(len(buf) + 2, np.uint8)
     w[1:-1] = table[buf]
@@ -82,13 +86,36 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * _powers(_PINV, n + 1)[starts])
 
 
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each code point: 0 separates, 1 is of a word, 2 is a word, 3 is a mark, to be left out; and its normal form."""
+    points = np.arange(_POINTS, dtype="<u4")
+    points[0xD800:0xE000] = 32
+    chars = pa.array(list(points.tobytes().decode("utf-32-le")), pa.string())
+    bare = pc.utf8_lower(pc.replace_substring_regex(pc.utf8_normalize(chars, "NFKD"), r"\p{M}+", ""))
+    forms = pc.if_else(pc.equal(pc.utf8_length(bare), 1), bare, chars)
+    kind = pc.match_substring_regex(chars, r"^[\p{L}\p{N}]$").to_numpy(zero_copy_only=False).astype(np.uint8)
+    kind[pc.match_substring_regex(chars, f"^{UNSPACED}$").to_numpy(zero_copy_only=False) & (kind > 0)] = 2
+    kind[pc.match_substring_regex(chars, r"^\p{M}$").to_numpy(zero_copy_only=False)] = 3
+    return kind, np.frombuffer("".join(forms.to_pylist()).encode("utf-32-le"), np.uint32)
+
+
 @dataclass
 class Words:
-    buf: np.ndarray  # lower-cased
+    buf: np.ndarray  # normal forms of the characters but marks
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
     hashes: np.ndarray
+    origin: np.ndarray | None  # place of each in the texts, if there are marks
+    size: int  # characters of all texts
+
+    def span(self, i: int, j: int) -> tuple[int, int]:
+        """Start and end of words i to j - 1 in characters of the texts, marks included."""
+        a, z = int(self.starts[i]), int(self.ends[j - 1])
+        if self.origin is not None:
+            a, z = int(self.origin[a]), int(self.origin[z]) if z < len(self.origin) else self.size
+        return a, z
 
     @property
     def counts(self) -> np.ndarray:
@@ -96,7 +123,7 @@ class Words:
 
     def text(self, i: int, j: int) -> bytes:
         """Words i to j - 1 with a space between."""
-        return b" ".join(self.buf[s:e].tobytes() for s, e in zip(self.starts[i:j], self.ends[i:j]))
+        return b" ".join(self.buf[s:e].astype("<u4").tobytes() for s, e in zip(self.starts[i:j], self.ends[i:j]))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, first word and text index of each n-gram; a text of fewer words, but not of none, has one of all its words."""
@@ -124,9 +151,38 @@ class Words:
 
 
 def words(texts: pa.Array) -> Words:
-    buf, offsets = raw(pc.utf8_lower(pc.fill_null(texts, "")))
-    starts, ends, first = bounds(buf, offsets)
-    return Words(buf, starts, ends, first, span_hashes(buf, starts, ends))
+    buf, offsets = raw(texts)
+    kinds, forms = _characters()
+    origin = None
+    if not len(buf) or buf.max() < 128:
+        kind, buf = kinds[:128][buf], forms[:128].astype(np.uint8)[buf]
+    else:
+        points = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        offsets = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[offsets]
+        points = np.minimum(points, np.uint32(_POINTS - 1))
+        kind, buf = kinds[points], forms[points]
+    size = len(buf)
+    marks = kind == 3
+    if marks.any():
+        origin = np.flatnonzero(~marks)
+        offsets = np.searchsorted(origin, offsets)
+        kind, buf = kind[origin], buf[origin]
+    one = (kind == 2).any()
+    starts, ends, first = _runs(kind, offsets) if one else bounds(kind, offsets, np.arange(3, dtype=np.uint8))
+    return Words(buf, starts, ends, first, span_hashes(buf, starts, ends), origin, size)
+
+
+def _runs(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As bounds(), with each character of kind 2 a run."""
+    held = np.zeros(len(kind) + 2, np.uint8)
+    held[1:-1] = kind
+    here, alone = held[1:-1] > 0, held == 2
+    cut = np.zeros(len(kind) + 1, bool)
+    cut[offsets] = True
+    new = here & ((held[:-2] == 0) | alone[1:-1] | alone[:-2] | cut[:-1])
+    last = here & ((held[2:] == 0) | alone[1:-1] | alone[2:] | cut[1:])
+    starts, ends = np.flatnonzero(new), np.flatnonzero(last) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:

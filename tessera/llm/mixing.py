@@ -11,7 +11,8 @@ and what that leaves over goes one each to the first sources by name.
 
 Defined cases: documents of null or empty text have no token and are not drawn. A null source is a source of its own.
 Repeated rows count each for itself; equal keys are ordered by id, tokens and a hash of the text. A source without
-weight, or without tokens, gets nothing, and its share is not given to others. An empty table gives an empty result.
+weight, or without tokens, gets nothing, and its share is not given to others. A small source with a large share is
+repeated as often as that takes, one row an epoch. An empty table gives an empty result.
 Null ids are drawn like others. Very long documents are counted whole. Other columns pass through mix() as they are.
 """
 
@@ -26,7 +27,8 @@ from ._stage import counted, fresh, staged
 SEED = "mix-1"
 #: Hex digits of a key that name its range: 4096 ranges in a source.
 RANGE_DIGITS = 3
-_MARK = "\u0001\ue0f1\u0001"
+#: Epochs that one array lists; of more, as a tiny source with a large share takes, each block is a row to be spread.
+LISTED = 1 << 16
 
 
 def tokens(text: Column) -> Column:
@@ -61,21 +63,30 @@ def plan(docs: DataFrame, parts: dict[str | None, int] | None = None, budget: in
 
     parts are integer weights by source, equal for all sources if not given; budget is in tokens, the corpus's if not given.
     """
-    drawn = _drawn(docs, parts, budget, seed, doc_id, source, text)
-    full = F.expr("CAST(budget DIV total AS INT)")
+    drawn, shares = _drawn(docs, parts, budget, seed, doc_id, source, text)
+    full = F.expr("budget DIV total")
+    most = (shares.agg(F.max(full)).first()[0] or 0) + 1
+    times = drawn.withColumn("epochs", full + F.when(F.col("before") < F.col("budget") - full * F.col("total"), 1).otherwise(0)).where("epochs > 0")
     return (
-        drawn.withColumn("epochs", full + F.when(F.col("before") < F.col("budget") - full * F.col("total"), 1).otherwise(0))
-        .where("epochs > 0")
-        .select("source", "o", "before", "total", "budget", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))
+        _repeated(times, "epochs", "epoch", "block", most)
         .withColumn("start", F.col("before") + F.col("epoch") * F.col("total"))
-        .select(F.col("o.id").alias("doc_id"), "source", F.col("epoch").cast("long").alias("epoch"), "start", F.least(F.col("o.n"), F.col("budget") - F.col("start")).alias("take"), F.col("o.n").alias("n_tokens"))
+        .select(F.col("o.id").alias("doc_id"), "source", "epoch", "start", F.least(F.col("o.n"), F.col("budget") - F.col("start")).alias("take"), F.col("o.n").alias("n_tokens"))
     )
 
 
-def _drawn(docs: DataFrame, parts, budget, seed: str, doc_id: str, source: str, text: str) -> DataFrame:  # noqa: ANN001
-    """(source, o, before, total, budget): before is the sum of tokens in front of a document in its source."""
+def _repeated(rows: DataFrame, times: str, number: str, block: str, most: int) -> DataFrame:
+    """Each row as often as its column times says, with a number from 0 on. Where most, the largest of times, is over LISTED, blocks of a row are dealt to all tasks."""
+    if most <= LISTED:
+        return rows.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
+    blocks = rows.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{times}` - 1) DIV {LISTED} * {LISTED}"), F.lit(LISTED).cast("long"))))
+    dealt = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.withColumn(number, F.explode(F.sequence(F.col(block), F.least(F.col(block) + LISTED, F.col(times)) - 1))).drop(block)
+
+
+def _drawn(docs: DataFrame, parts, budget, seed: str, doc_id: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """(source, o, before, total, budget), and (source, total, budget): before is the sum of tokens in front of a document in its source."""
     slim = staged(_slim(docs, seed, doc_id, source, text), "mix")
-    shares = budgets(slim, parts, budget)
+    shares = staged(budgets(slim, parts, budget), "shares")
     r = F.substring("o.key", 1, RANGE_DIGITS)
     ranges = slim.groupBy("source", r.alias("range")).agg(F.sum("o.n").alias("n"))
     ranges = ranges.withColumn("front", F.sum("n").over(W.partitionBy("source").orderBy("range")) - F.col("n"))
@@ -83,7 +94,8 @@ def _drawn(docs: DataFrame, parts, budget, seed: str, doc_id: str, source: str,
     offsets = ranges.join(given, F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("of"), F.col("range").alias("r2"), "front", "total", "budget")
     w = W.partitionBy("source", "range").orderBy("o").rowsBetween(W.unboundedPreceding, 0)
     sums = slim.withColumn("range", r).withColumn("inside", F.sum("o.n").over(w) - F.col("o.n"))
-    return sums.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("r2"))).select("source", "o", (F.col("front") + F.col("inside")).alias("before"), "total", "budget")
+    placed = sums.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("r2")))
+    return placed.select("source", "o", (F.col("front") + F.col("inside")).alias("before"), "total", "budget"), shares
 
 
 def mix(docs: DataFrame, parts: dict[str | None, int] | None = None, budget: int | None = None, seed: str = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text", n_chars: str | None = None) -> DataFrame:
@@ -92,7 +104,7 @@ def mix(docs: DataFrame, parts: dict[str | None, int] | None = None, budget: int
     Texts are not shuffled: where a source's last epoch ends is one document, so each row is decided by comparing its
     key to that of its source's last one. Only rows equal to a last one in key, id, tokens and text are ranked.
     """
-    drawn = staged(_drawn(docs, parts, budget, seed, doc_id, source, text), "drawn")
+    drawn = staged(_drawn(docs, parts, budget, seed, doc_id, source, text)[0], "drawn")
     full = F.expr("budget DIV total")
     rest = F.col("budget") - full * F.col("total")
     # the document in which the last epoch ends; none if the budget is whole epochs
@@ -117,8 +129,8 @@ def mix(docs: DataFrame, parts: dict[str | None, int] | None = None, budget: int
     room = F.col(f"{end}.room") - F.col(rank) * F.col(f"{o}.n")
     ties = ties.withColumn(epochs, F.col(f"{end}.full") + F.when(room > 0, 1).otherwise(0)).withColumn(take, F.when((room > 0) & (room < F.col(f"{o}.n")), room)).drop(rank)
     e = fresh(docs, "e")
-    out = inner.unionByName(ties).where(F.col(epochs) > 0).withColumn(e, F.explode(F.sequence(F.lit(1).cast("long"), F.col(epochs))))
-    cut = _head(t, F.when(F.col(e) == F.col(epochs), F.col(take)))
+    out = _repeated(inner.unionByName(ties).where(F.col(epochs) > 0), epochs, e, fresh(docs, "block"), (ends.agg(F.max("full")).first()[0] or 0) + 1)
+    cut = _head(t, F.when(F.col(e) == F.col(epochs) - 1, F.col(take)))
     out = out.withColumn(text, cut)
     if n_chars:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
@@ -127,5 +139,5 @@ def mix(docs: DataFrame, parts: dict[str | None, int] | None = None, budget: int
 
 def _head(text: Column, n: Column) -> Column:
     """text up to its n-th token, whole if n is null."""
-    marked = F.regexp_replace(text, r"([^ \t\n\r\f\x0B])(?=[ \t\n\r\f\x0B])", "$1" + _MARK)
-    return F.when(n.isNull(), text).otherwise(F.replace(F.call_function("substring_index", marked, F.lit(_MARK), n.cast("int")), F.lit(_MARK), F.lit("")))
+    parts = F.regexp_extract_all(text, F.lit(r"[ \t\n\r\f\x0B]*[^ \t\n\r\f\x0B]+"), F.lit(0))
+    return F.when(n.isNull(), text).otherwise(F.array_join(F.slice(parts, 1, n.cast("int")), ""))

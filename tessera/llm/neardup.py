@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import _text as X
 from ._cluster import clusters, copies, has_repeats, merged
-from ._stage import counted, fresh, lean, staged
+from ._stage import counted, fresh, lean, staged, unstage
 
 GRAM = 5
 BANDS, ROWS = 40, 4
@@ -183,9 +183,13 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, do
     def verify(pairs: DataFrame) -> DataFrame:
         near = attach(pairs, alone.select("id", "checks"), "checks").mapInArrow(_filter_pairs(lambda x, y: bayes_keep(x, y, threshold, miss)), "a long, b long")
         near = staged(near.distinct(), "near")
+        if near.isEmpty():
+            return near
         ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = slim.join(counted(ids), "id", "left_semi").mapInArrow(_gram_sets, "id long, grams binary")
-        return attach(near, sets, "grams").mapInArrow(_filter_pairs(lambda x, y: jaccard_keep(x, y, threshold)), "a long, b long").distinct()
+        sets = staged(slim.join(counted(ids), "id", "left_semi").mapInArrow(_gram_sets, "id long, grams binary"), "grams")
+        found = staged(attach(near, sets, "grams").mapInArrow(_filter_pairs(lambda x, y: jaccard_keep(x, y, threshold)), "a long, b long").distinct(), "found")
+        unstage(sets)
+        return found
 
     roots = clusters(members, verify, alone.select("id", F.col("checks").alias("sketch")))
     return merged(same, roots, repeats).select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("kept"))

@@ -5,7 +5,7 @@
 3. Expectation-maximisation over the patterns estimates the share of good documents and what each labeller votes for
    good and for bad ones; that gives every pattern its posterior.
 4. A logistic scorer over hashed features (shapes of items and of pairs of neighbours, as shares of the document) is
-   trained on the posteriors of at most SAMPLE documents, those of the least hashes, and scores every document. Its
+   trained on the posteriors of at most SAMPLE documents, those of distinct text of the least hashes, and scores every document. Its
    bias is the prior's log odds, and shares are shrunk by SHRINK items, so a document of few items is near the prior.
 A document is kept if the scorer gives it at least KEEP, so it goes only at odds of three to one against it.
 
@@ -202,12 +202,10 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np
     table = np.full(3 ** len(LABELLERS), 0.5)
     table[codes] = post
     total = int(counts.sum())
-    # documents of the least hashes: about 1.2 times the sample, then exactly it
-    share = min(1.0, 1.2 * sample / total + 1e-9)
+    # distinct texts of the least hashes: what lies below a bound is made ready, and the bound raised until it is enough
     key = F.xxhash64(text)
     some = docs.where(F.col(text).isNotNull())
-    if share < 1:
-        some = some.where(key < F.lit(int(-(2**63) + share * 2**64)))
+
     # equal texts have equal keys: a group of copies comes in whole or not, and counts once
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = 3 ** np.arange(len(LABELLERS))
@@ -220,8 +218,14 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np
                 out = pa.RecordBatch.from_arrays([b.column("k"), code, pa.ListArray.from_arrays(first, pa.array(at)), pa.ListArray.from_arrays(first, pa.array(value))], names=["k", "code", "at", "value"])
                 yield out.filter(pa.array(items.n > 0))
 
-    rows = some.select(key.alias("k"), F.col(text).alias("text")).mapInArrow(features, "k long, code long, at array<int>, value array<float>")
-    got = rows.groupBy("k").agg(F.min(F.struct("code", "at", "value")).alias("r")).orderBy("k").limit(sample).select("r.*").toArrow()
+    share = min(1.0, 1.2 * sample / total + 1e-9)
+    while True:
+        below = some if share >= 1 else some.where(key < F.lit(int(-(2**63) + share * 2**64)))
+        rows = below.select(key.alias("k"), F.col(text).alias("text")).mapInArrow(features, "k long, code long, at array<int>, value array<float>")
+        got = rows.groupBy("k").agg(F.min(F.struct("code", "at", "value")).alias("r")).orderBy("k").limit(sample).select("r.*").toArrow()
+        if share >= 1 or got.num_rows >= sample:
+            break
+        share = min(1.0, share * max(2.0, 1.3 * sample / max(1, got.num_rows)))  # many rows are copies
     y = table[got.column("code").to_numpy()]
     at, value = (np.concatenate([c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in got.column(n).chunks]) for n in ("at", "value"))
     first = np.concatenate([[0], np.cumsum([len(x) for x in got.column("at")])])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, editprint, langid, mixing, neardup, pii, quality, replytree, sharding, tokenids
+from ._text import SQL_WORDS
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_WORDS = r"regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+_WORDS = SQL_WORDS
 
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": rf"""

@@ -12,6 +12,8 @@ in the same shard. An empty table has no shard. Other columns are not read. Very
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,12 +24,19 @@ from ._stage import counted, fresh, staged
 LIMIT = 2 << 20
 BITS = 60
 STEP = 12
+#: Shards that write_shards() broadcasts.
+LISTED = 1_000_000
 
 
 def bits(doc_id: Column) -> Column:
     """60 bits of the id's MD5 as a string of 0 and 1."""
+    return F.lpad(F.bin(number(doc_id)), BITS, "0")
+
+
+def number(doc_id: Column) -> Column:
+    """The same as a number."""
     digest = F.substring(F.md5(F.coalesce(doc_id.cast("long").cast("string"), F.lit("null"))), 1, BITS // 4)
-    return F.lpad(F.bin(F.conv(digest, 16, 10).cast("long")), BITS, "0")
+    return F.conv(digest, 16, 10).cast("long")
 
 
 def directory(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -75,11 +84,33 @@ def assign(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: st
     return rows.join(table, "shard").select("doc_id", "shard", "depth", F.col("bytes").alias("n_bytes"), "shard_bytes", "shard_docs")
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> None:
-    """docs as Parquet, a folder for each shard; the one exchange groups the rows of a shard."""
-    name, key = "shard", fresh(docs, "key")
-    table = assign(docs, limit, doc_id, text).select(F.col("doc_id").alias(key), F.concat(F.lit("p"), F.col("shard")).alias(name)).distinct()
-    docs.join(table, F.col(doc_id).cast("long").eqNullSafe(F.col(key))).drop(key).repartition(name).write.partitionBy(name).parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> str:
+    """docs as Parquet, a folder for each shard, named by the column returned: 'shard', or a fresh name if docs has that.
+
+    The one exchange of texts groups the rows of a shard. A row finds its shard by its id: shards are ranges of hashes,
+    in a sorted list that is broadcast if it is of at most LISTED shards; a longer one is joined.
+    """
+    name = "shard" if "shard" not in map(str.lower, docs.columns) else fresh(docs, "shard")
+    i = F.col(doc_id).cast("long")
+    sizes = staged(docs.select(bits(i).alias("bits"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes")), "shard")
+    leaves = staged(directory(sizes, limit).select("shard"), "directory")
+    if leaves.limit(LISTED + 1).count() <= LISTED:
+        shards = sorted(r[0] for r in leaves.collect())
+        lows = np.array([int(s.ljust(BITS, "0"), 2) for s in shards], np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast((np.array(["p" + s for s in shards], object), lows))
+
+        @F.pandas_udf("string")
+        def shard_of(key: pd.Series) -> pd.Series:
+            names, at = shared.value
+            return pd.Series(names[np.searchsorted(at, key.to_numpy(), side="right") - 1])
+
+        rows = docs.withColumn(name, shard_of(number(i)))
+    else:
+        key = fresh(docs, "key")
+        table = assign(docs, limit, doc_id, text).select(F.col("doc_id").alias(key), F.concat(F.lit("p"), F.col("shard")).alias(name)).distinct()
+        rows = docs.join(table, i.eqNullSafe(F.col(key))).drop(key)
+    rows.repartition(name).write.partitionBy(name).parquet(path)
+    return name
 
 
 def shard_sizes(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

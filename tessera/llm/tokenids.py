@@ -36,7 +36,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 BLOCK = 128
 PERCENTILE = 0.9
 #: Bytes of text encoded at once.
-GATHER = 8_000_000
+GATHER = 3_000_000
 _ODD = r"[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}] | [\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]|^[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]|[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]$"
 
 _encoders: dict[str, tuple] = {}

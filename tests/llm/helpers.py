@@ -1,14 +1,18 @@
 from __future__ import annotations
 
 import random
-import re
+import unicodedata
 
-WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
+import regex
+
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+WORD = regex.compile(rf"(?V1)[{_UNSPACED}]|[\p{{L}}\p{{N}}--[{_UNSPACED}]]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    bare = "".join(c for c in unicodedata.normalize("NFKD", text or "") if unicodedata.category(c)[0] != "M")
+    return WORD.findall(bare.lower())
 
 
 def prose(r: random.Random, n: int) -> str:

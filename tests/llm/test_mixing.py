@@ -68,3 +68,24 @@ def test_odd_rows(spark):
     assert M.mix(docs, n_chars="n_chars").count() == plan.count()
     none = spark.createDataFrame([], DOCS)
     assert M.plan(none).collect() == [] and M.mix(none).collect() == []
+
+
+def test_small_source_with_a_large_share(spark):
+    docs = spark.createDataFrame([(1, "one", "x"), (2, "two three", "y")], "doc_id long, text string, source string")
+    far = M.plan(docs, {"x": 1}, 3 * 10**9).limit(5).collect()
+    assert len({r.epoch for r in far}) == 5 and all((r.doc_id, r.source, r.start, r.take, r.n_tokens) == (1, "x", r.epoch, 1, 1) for r in far)
+    assert len(M.mix(docs, {"x": 1}, 3 * 10**9).limit(5).collect()) == 5
+
+
+def test_long_lists_of_epochs(spark, monkeypatch):
+    monkeypatch.setattr(M, "LISTED", 4)
+    rows = [(1, "one", "x"), (2, "two three", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(tuple, M.plan(docs, {"x": 3, "y": 2}, 55).collect()), key=repr) == brute(rows, {"x": 3, "y": 2}, 55)
+    assert M.mix(docs, {"x": 3, "y": 2}, 55).groupBy("text").count().collect().__len__() == 2
+
+
+def test_cut_text_keeps_every_character(spark):
+    text = "\u0001\u0001 one\ttwo \u0001\u0001 three"
+    got = [r.text for r in M.mix(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, source string"), None, 4).collect()]
+    assert got == ["\u0001\u0001 one\ttwo \u0001\u0001"]

@@ -70,3 +70,15 @@ def test_odd_rows(spark):
     assert Q.train(none) is None and Q.scores(none).collect() == [] and Q.keep_good(none).collect() == []
     alike = spark.createDataFrame([(1, "plain words here. and there."), (2, "other words now. all good.")], "doc_id long, text string")
     assert all(x.kept for x in Q.scores(alike).collect())
+
+
+def test_many_copies_of_one_text(spark):
+    texts = [t for _, t, y in labelled(400) if y]
+    keys = {r.text: r.k for r in spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "xxhash64(text) AS k").collect()}
+    late = max(keys, key=keys.get)
+    docs = spark.createDataFrame([(i, late) for i in range(3000)], "doc_id long, text string")
+    assert Q.train(docs, sample=100) is not None
+    kept = {x.kept for x in Q.scores(docs, Q.train(docs, sample=100)).collect()}
+    assert kept == {True}
+    few = spark.createDataFrame([(i, late) for i in range(3000)] + list(enumerate(texts[:60])), "doc_id long, text string")
+    assert Q.train(few, sample=100) is not None

@@ -43,3 +43,18 @@ def test_odd_rows(spark):
     want = brute([(i, t) for i, t, *_ in rows], 1000)
     assert len(got) == len(rows) and all(want[x.doc_id] == x.shard for x in got)
     assert S.assign(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_a_column_named_shard_stays(spark, tmp_path, monkeypatch):
+    rows = [(i, "x" * (i % 50), f"s{i}") for i in range(300)] + [(None, "null id", "n"), (7, "again", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Shard string")
+    want = {x.doc_id: x.shard for x in S.assign(docs, 900).collect()}
+    for k, listed in enumerate((S.LISTED, 0)):
+        monkeypatch.setattr(S, "LISTED", listed)
+        name = S.write_shards(docs, str(tmp_path / str(k)), 900)
+        got = spark.read.parquet(str(tmp_path / str(k)))
+        assert name not in docs.columns and set(got.columns) == {*docs.columns, name}
+        out = got.collect()
+        assert sorted(((x.doc_id, x.text, x.Shard) for x in out), key=repr) == sorted(rows, key=repr)
+        assert all(x[name] == "p" + want[x.doc_id] for x in out)
+    S.write_shards(spark.createDataFrame([], docs.schema), str(tmp_path / "none"), 900)
