@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 4_000_000
 
 BATCH_BYTES = 8 << 20
+#: Spark's own setting, read when a write is planned: remove its shuffle files at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _made: set[str] = set()
 
@@ -40,14 +42,22 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet under the shared folder and read back: lineage ends here and survives a lost executor."""
+    """df written as Parquet under the shared folder and read back: lineage ends here and survives a lost executor.
+
+    Once the table is written nothing reads the shuffle files that it was made from, so Spark removes them.
+    """
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
     if root not in _made:
         _made.add(root)
         atexit.register(_drop, spark, root)
     path = f"{root}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    held = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if held is None else spark.conf.set(CLEAN, held)
     return spark.read.schema(df.schema).parquet(path)
 
 
