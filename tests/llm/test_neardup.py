@@ -97,3 +97,39 @@ def test_each_text_of_a_repeated_id_is_compared(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x.doc_id: x.group_id for x in N.groups(docs).collect()} == want
     assert sorted(x.doc_id for x in N.deduplicate(docs).collect()) == sorted(i for i, _ in rows if i % 10 in (0, 3))
+
+
+def test_hot_buckets_lose_no_pair_that_their_checks_keep(spark, monkeypatch):
+    """Ids of one large bucket, whose checks agree in just enough places, are all verified, in one part or in several."""
+    r = np.random.default_rng(9)
+    least = N.least_matches()
+    checks = r.integers(0, 256, (120, N.CHECKS), dtype=np.uint8)
+    for i in range(60, 120):
+        # as many of each batch as the posterior asks for, after the batches before
+        checks[i] = checks[i - 60] + np.uint8(1)
+        for k, m in enumerate(np.diff(least, prepend=0)):
+            at = r.permutation(N.BATCH)[:m] + k * N.BATCH
+            checks[i, at] = checks[i - 60, at]
+    rows = spark.createDataFrame([(i, bytes(c)) for i, c in enumerate(checks)], "id long, sketch binary")
+    members = spark.createDataFrame([(b, i) for b in (1, 2) for i in range(120)], "bucket long, id long")
+    want = {(i, i + 60) for i in range(60)}
+    assert N.bayes_keep([bytes(checks[a]) for a, _ in want], [bytes(checks[b]) for _, b in want], N.THRESHOLD, N.MISS).all()
+
+    def verify(pairs, near=False):
+        return spark.createDataFrame([p for p in map(tuple, pairs.collect()) if p in want], "a long, b long")
+
+    near = N.bayes_near(N.THRESHOLD, N.MISS)
+    for small, block in ((48, 1 << 14), (200, 1 << 14), (8, 50), (48, 20)):
+        monkeypatch.setattr(C, "SMALL", small)
+        monkeypatch.setattr(C, "BLOCK", block)
+        got = {x.id: x.root for x in C.clusters(members, verify, rows, near).collect()}
+        assert got == {i: i % 60 for i in range(120)}, (small, block)
+
+
+def test_bayes_near_is_bayes_keep():
+    r = np.random.default_rng(10)
+    x = r.integers(0, 3, (40, N.CHECKS), dtype=np.uint8)
+    y = np.where(r.random((30, N.CHECKS)) < 0.4, x[:30], r.integers(0, 3, (30, N.CHECKS))).astype(np.uint8)
+    got = N.bayes_near(0.5, 0.005)(x.T[:, :, None], y.T[:, None, :])
+    want = [N.bayes_keep([bytes(a)] * 30, [bytes(b) for b in y], 0.5, 0.005) for a in x]
+    assert 0 < got.sum() < got.size and (got == np.stack(want)).all()
