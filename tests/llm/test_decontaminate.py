@@ -5,6 +5,7 @@ import random
 from helpers import DOCS, odd_rows, prose, words
 
 from tessera.llm import decontaminate as D
+from tessera.llm import queries
 
 ITEMS = "item_id long, text string"
 
@@ -102,3 +103,16 @@ def test_width_case_accents_and_punctuation_do_not_matter(spark):
 def test_cut_text_with_marks():
     text = "a café́ x"
     assert D.cut_text(text, [(1, 2)]) == "a  x" and D.cut_text("café", [(0, 1)]) == ""
+
+
+def test_a_query_cuts_and_drops(spark, tmp_path):
+    r = random.Random(4)
+    passage, own = prose(r, 20), [prose(r, 60) for _ in range(3)]
+    texts = [own[0], own[1] + " " + passage + " " + own[2], passage]
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage)], ITEMS).write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = {x.doc_id: x for x in queries.QUERIES["op1_decontaminated_documents"](spark, str(tmp_path)).collect()}
+    assert set(out) == {0, 1} and out[0].text == texts[0]
+    assert words(out[1].text) == words(own[1] + " " + own[2]) and out[1].n_chars == len(out[1].text) and out[1].lang == "en"
+    verdicts = {x.doc_id: x.action for x in queries.QUERIES["op1_benchmark_decontamination"](spark, str(tmp_path)).collect()}
+    assert verdicts == {1: "cut", 2: "drop"}
