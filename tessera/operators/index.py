@@ -11,10 +11,10 @@ from ..functions import urls as U
 from ..sources.tables import source_key
 
 
-def occurrences(sources: DataFrame) -> DataFrame:
-    """(id, term) for each token of title, location and text."""
-    blob = F.concat_ws(" ", "title", "location", "text")
-    return sources.select("id", F.explode(X.tokens(blob)).alias("term"))
+def occurrences(sources: DataFrame, mark: str | None = None) -> DataFrame:
+    """(id, term) for each token of title, location and text, and one of mark for each source."""
+    found = X.tokens(F.concat_ws(" ", "title", "location", "text"))
+    return sources.select("id", F.explode(found if mark is None else F.concat(found, F.array(F.lit(mark)))).alias("term"))
 
 
 def postings(sources: DataFrame, terms: DataFrame | None = None) -> DataFrame:

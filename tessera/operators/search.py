@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from ..functions import intent as I
 from ..functions import text as X
 from ..functions import vocab as V
-from .index import document_frequency, postings
+from .index import document_frequency, occurrences
 
 LIMIT, LIGHT, FLOOR = 8, 0.15, 0.15
 INTENT_WEIGHT, LEAST_FACTOR, MOST_FACTOR, INTENT_CHARS = 0.30, 0.40, 1.90, 2000
 #: Questions that are broadcast; a larger batch is joined by shuffling.
 BROADCAST_QUESTIONS = 200_000
+#: Matches of a source and a question in a task, at most and about; batches of at most FEW_QUESTIONS are left to Spark.
+MATCHES, FEW_QUESTIONS = 500_000, 16
+#: Stands for the source itself among its terms: no token is empty.
+MARK = ""
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
@@ -35,17 +39,29 @@ def small(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_QUESTIONS else side
 
 
+def parts(sources: DataFrame, n_questions: int) -> int | None:
+    """Into how many parts sources are cut by id, so that a task's matches don't grow with the tables."""
+    if n_questions <= FEW_QUESTIONS:
+        return None
+    return max(sources.sparkSession.sparkContext.defaultParallelism, -(-sources.count() * n_questions // MATCHES))
+
+
 def scores(sources: DataFrame, questions: DataFrame, n_questions: int | None = None) -> DataFrame:
     """(query_id, id, base, matched, total, score) of each match, without intent.
 
-    Only tokens that some question asks for pass the explode; text goes no further.
+    Only tokens that some question asks for pass the explode; text goes no further. They are shuffled once, by id: the
+    counts of terms and the sums of questions are then made within a part, and sources are read and counted in one pass.
     """
     n_questions = few(questions) if n_questions is None else n_questions
     terms = query_terms(questions)
-    held = postings(sources, small(terms.select("term").distinct(), n_questions))
+    asked = terms.select("term").unionByName(sources.sparkSession.createDataFrame([(MARK,)], "term string")).distinct()
+    of = occurrences(sources, MARK).join(small(asked, n_questions), "term", "left_semi")
+    k = parts(sources, n_questions)
+    held = (of.repartition("id") if k is None else of.repartition(k, "id")).groupBy("term", "id").agg(F.count("*").alias("tf"))
     df = document_frequency(held)
-    n = sources.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    weighed = small(terms.join(df, "term").crossJoin(n).withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0).select("query_id", "term", "weight", "meaningful", "total", "idf"), n_questions)
+    # not a filter, which would be pushed below the exchange and have the texts read again
+    n = df.agg(F.max(F.when(F.col("term") == MARK, F.col("df"))).alias("n"))
+    weighed = small(terms.join(df, "term").crossJoin(F.broadcast(n)).withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0).select("query_id", "term", "weight", "meaningful", "total", "idf"), n_questions)
     part = F.col("weight") * (1.0 + F.log("tf")) * F.col("idf")
     found = held.join(weighed, "term").groupBy("query_id", "id", "total").agg(F.sum(part).alias("base"), F.sum("meaningful").alias("matched"))
     cover = F.when(F.col("total") > 0, FLOOR + (1 - FLOOR) * F.col("matched") / F.col("total")).otherwise(1.0)
