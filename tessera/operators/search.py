@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,10 +75,11 @@ def ranked(found: DataFrame, n: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def search(sources: DataFrame, questions: DataFrame, limit: int = LIMIT, source_type: str | None = None) -> DataFrame:
+def search(sources: DataFrame, questions: DataFrame, limit: int = LIMIT, source_type: str | None = None, of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The best limit sources of each question, with intent applied to a pool of 5 * limit + 10.
 
-    questions: (query_id, query). Text is joined to the pool alone.
+    questions: (query_id, query). Text is joined to the pool alone. of: the sources of a table of ids, for sources that
+    are extracted at each reading; those outside the pool are then extracted once.
     """
     if source_type is not None:
         sources = sources.where(F.col("source_type") == source_type)
@@ -84,6 +87,9 @@ def search(sources: DataFrame, questions: DataFrame, limit: int = LIMIT, source_
     pool = ranked(scores(sources, questions, n), size).drop("rank")
     kinds = questions.select("query_id", "query", I.detect(F.col("query")).alias("intent"))
     # a small pool goes to the texts, not the texts to the pool
+    if of is not None:
+        sources = of(small(pool.select("id").distinct(), n * size))
+        sources = sources if source_type is None else sources.where(F.col("source_type") == source_type)
     near = sources.join(small(pool.join(small(kinds, n), "query_id"), n * size), "id")
     name = F.coalesce(F.nullif("title", F.lit("")), "location")
     hay = F.concat_ws(" ", F.nullif(name, F.lit("")), F.nullif("location", F.lit("")), F.nullif(F.substring("text", 1, INTENT_CHARS), F.lit("")))

@@ -160,8 +160,14 @@ _BOTH = f"""src AS (SELECT 'web' AS source_type, page_id AS id, {O.normalize('ur
 
 @query(f"WITH {_BOTH}, {_ONE}, {O.search(8)} SELECT query_id, rank, id, score FROM hits")
 def search_by_type(spark, d):
-    both = docs(spark, d).unionByName(from_pages(read(spark, d, "pages")))
-    return S.search(both, one(spark), source_type="web").select("query_id", "rank", "id", "score")
+    files, pages = read(spark, d, "documents"), read(spark, d, "pages")
+
+    def of(ids):
+        pooled = pages.join(ids.withColumnRenamed("id", "page_id"), "page_id", "left_semi")
+        return from_documents(files.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).unionByName(from_pages(pooled))
+
+    both = from_documents(files).unionByName(from_pages(pages))
+    return S.search(both, one(spark), source_type="web", of=of).select("query_id", "rank", "id", "score")
 
 
 @query(f"WITH {O.DOCUMENT_SOURCES}, {_BATCH}, {O.search(8)} SELECT query_id, id, base, matched, total, score FROM scored")

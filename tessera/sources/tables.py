@@ -51,7 +51,8 @@ def from_documents(docs: DataFrame) -> DataFrame:
 
 def from_pages(pages: DataFrame) -> DataFrame:
     location = U.normalize(F.col("url"))
-    plain = pages.select("page_id", location.alias("location"), H.title(F.col("html")).alias("title"), H.text(F.col("html")).alias("text"))
+    # exploded, so that the filter isn't pushed below and the text, the dearest of them, extracted once for each use
+    plain = pages.select("page_id", location.alias("location"), H.title(F.col("html")).alias("title"), F.explode(F.array(H.text(F.col("html")))).alias("text"))
     return plain.where("text <> ''").select(
         F.col("page_id").alias("id"),
         source_key(F.lit("web"), F.col("location")).alias("source_key"),

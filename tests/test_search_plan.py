@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from tessera.operators import search as S
+from tessera.plans import catalogue
 from test_golden import CASES, sources
 
 
@@ -17,3 +18,11 @@ def test_matches_are_summed_in_parts_that_grow_in_number_only(spark, monkeypatch
     monkeypatch.setattr(S, "MATCHES", 2)
     assert S.parts(table, len(CASES)) == table.count() * len(CASES) // 2
     assert want and sorted(map(tuple, S.scores(table, asked).collect())) == want
+
+
+def test_pages_are_extracted_once_before_the_pool(spark):
+    """The text of a page is a long chain of patterns: not again for the filter, the count of sources, or all texts."""
+    plan = catalogue.queries()["search_by_type"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # once in each of the three branches (df, sums, count) that share an exchange, twice over, and once for the pool
+    lines = [x for x in plan.splitlines() if "<!--" in x]
+    assert lines and all("Filter" not in x for x in lines) and max(x.count("<!--") for x in lines) == 1
